@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelweave.llm.duplicates import duplicate_members
+from kernelweave.llm.tokens import encode_column
 from kernelweave.llm.topn import top_n
 from kernelweave.runtime import table
 
@@ -22,6 +23,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_members(table(spark, d, "compact_relation"), table(spark, d, "relation_map"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
 P6_SQL = """
 SELECT mention_id FROM (
   SELECT mention_id, row_number() OVER (PARTITION BY sent_id, type ORDER BY confidence DESC NULLS LAST, end_char - start_char DESC NULLS LAST, start_char NULLS LAST, mention_id) AS k
@@ -40,5 +46,5 @@ WITH plain AS (
 SELECT rel_id_a, rel_id AS rel_id_b FROM fact WHERE rel_id <> rel_id_a
 """
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES = {"p6_found": P6_SQL, "p7_found": P7_SQL}

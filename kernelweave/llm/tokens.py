@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_VOCABULARY = 1_000_000
+MAX_SHIFTS = 100_000
+SEEDS = 32
+_WORD = (1 << 64) - 1
 REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 
@@ -42,66 +45,75 @@ def _public_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _slot(h: int, d: int, n: int) -> int:
+    """Slot of a digest under displacement d; mixed, so that every slot is reached as d grows."""
+    z = ((h >> 64) ^ (d * 0x9E3779B97F4A7C15)) & _WORD
+    z = ((z ^ (z >> 31)) * 0xD6E8FEB86659FD93) & _WORD
+    return (z ^ (z >> 29)) % n
+
+
 @dataclass
 class PerfectHash:
     """Minimal perfect hash over byte strings by hash and displace.
 
-    A key's digest gives a bucket and two step values; each bucket's displacement is the first that puts
-    all its keys into free slots. With as many slots as keys, every slot holds one key's bytes and id.
+    A key's digest gives its bucket; each bucket's displacement is the first that puts all its keys into
+    free slots. Buckets of a single key come last and hold the address of a free slot instead, as -1 - slot.
+    With as many slots as keys, every slot holds one key's bytes and id. A bucket without a displacement
+    within the bound makes the build start again with the next seed.
     """
 
     shifts: list[int]
     keys: list[bytes]
     ids: list[int]
+    seed: int = 0
 
     @classmethod
     def build(cls, entries: dict[bytes, int]) -> PerfectHash:
+        if len(entries) > MAX_VOCABULARY:
+            raise ValueError(f"a vocabulary of {len(entries)} entries is beyond the bound of {MAX_VOCABULARY}")
+        for seed in range(SEEDS):
+            if built := cls._build(entries, seed):
+                return built
+        raise ValueError(f"no perfect hash over {len(entries)} entries with {SEEDS} seeds")
+
+    @classmethod
+    def _build(cls, entries: dict[bytes, int], seed: int) -> PerfectHash | None:
         n = len(entries)
-        if n > MAX_VOCABULARY:
-            raise ValueError(f"a vocabulary of {n} entries is beyond the bound of {MAX_VOCABULARY}")
-        m = max(1, -(-n // 4))
-        buckets: list[list[tuple[int, int, bytes]]] = [[] for _ in range(m)]
+        m = max(1, -(-n // 3))
+        buckets: list[list[tuple[int, bytes]]] = [[] for _ in range(m)]
         for key in entries:
-            h = xxhash.xxh3_128_intdigest(key)
-            buckets[h % m].append(((h >> 40) % n, 1 + (h >> 80) % max(1, n - 1), key))
+            h = xxhash.xxh3_128_intdigest(key, seed)
+            buckets[h % m].append((h, key))
         shifts, keys, ids = [0] * m, [b""] * n, [-1] * n
         free = bytearray(b"\x01") * n
-        left = n
+        at = 0
         for b in sorted(range(m), key=lambda x: -len(buckets[x])):
             own = buckets[b]
             if not own:
                 break
-            d = 0
-            if len(own) == 1 and left < n:
-                d = cls._single(own[0], free, n)
-            while True:
-                slots = {(x + d * y + d * d) % n if n > 1 else 0 for x, y, _ in own}
-                if len(slots) == len(own) and all(free[s] for s in slots):
-                    break
-                d += 1
-            shifts[b] = d
-            for x, y, key in own:
-                s = (x + d * y + d * d) % n if n > 1 else 0
+            if len(own) == 1:
+                at = free.index(1, at)
+                shifts[b], slots = -1 - at, [at]
+            else:
+                for d in range(MAX_SHIFTS):
+                    slots = [_slot(h, d, n) for h, _ in own]
+                    if all(free[s] for s in slots) and len(set(slots)) == len(own):
+                        break
+                else:
+                    return None
+                shifts[b] = d
+            for s, (_, key) in zip(slots, own, strict=True):
                 free[s], keys[s], ids[s] = 0, key, entries[key]
-            left -= len(own)
-        return cls(shifts, keys, ids)
-
-    @staticmethod
-    def _single(one: tuple[int, int, bytes], free: bytearray, n: int) -> int:
-        x, y, _ = one
-        d = 0
-        while not free[(x + d * y + d * d) % n]:
-            d += 1
-        return d
+        return cls(shifts, keys, ids, seed)
 
     def get(self, key: bytes) -> int:
         """The key's id, or -1."""
         n = len(self.keys)
         if not n:
             return -1
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         d = self.shifts[h % len(self.shifts)]
-        s = ((h >> 40) % n + d * (1 + (h >> 80) % max(1, n - 1)) + d * d) % n
+        s = -1 - d if d < 0 else _slot(h, d, n)
         return self.ids[s] if self.keys[s] == key else -1
 
 
