@@ -12,7 +12,7 @@ that occurs on several rows counts once per value; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([field.take(pa.array(at)), value.take(pa.array(at)), pa.array(seen, pa.int64()), pa.array(recs, pa.int64())], names=["field", "value", "n", "r"])
 
 
+def _named(name: str) -> Callable[[Column], Column]:
+    """Value -> struct of the field's name and the value; transform would bind a second parameter to the index."""
+    return lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"))
+
+
 def value_counts(df: DataFrame, record: str, values: dict[str, Column]) -> DataFrame:
     """field, value, occurrences, records of every distinct value.
 
     `values` maps a field's name to an array column of its values in a row.
     """
-    pairs = F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, n=name: F.struct(F.lit(n).alias("field"), v.alias("value"))) for name, c in values.items()])
+    pairs = F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), _named(name)) for name, c in values.items()])
     flat = df.select(F.col(f"`{record}`").cast("long").alias("rec"), F.explode(pairs).alias("p")).select("p.field", "p.value", "rec").where(F.col("value").isNotNull())
     ordered = flat.repartitionByRange("field", "value", "rec").sortWithinPartitions("field", "value", "rec")
     runs = ordered.mapInArrow(_scan, "field string, value string, n long, r long")

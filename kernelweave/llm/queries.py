@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelweave.llm.duplicates import duplicate_members
+from kernelweave.llm.frequency import mark_extremes, terms, value_counts
 from kernelweave.llm.tokens import encode_column
 from kernelweave.llm.topn import top_n
 from kernelweave.runtime import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of terms, rel and lang that occur in very few or very many rows."""
+    rows = table(spark, d, "compact_relation")
+    counts = value_counts(rows, "rel_id", {"term": terms(F.col("surface_start")), "rel": F.array("rel"), "lang": F.array("lang")})
+    return mark_extremes(counts, rows.count()).where(F.col("mark").isNotNull()).select("field", "value", "mark")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The two best mentions of every sentence and type."""
     rows = table(spark, d, "mention").where(F.col("type").isNotNull())
@@ -28,6 +36,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+P4_SQL = r"""
+WITH item AS (
+  SELECT rel_id, 'term' AS field, unnest(list_transform(regexp_extract_all(surface_start, '[\p{L}\p{Nd}]+'), lambda x: lower(x))) AS value FROM compact_relation
+  UNION ALL SELECT rel_id, 'rel', rel FROM compact_relation UNION ALL SELECT rel_id, 'lang', lang FROM compact_relation
+), counted AS (SELECT field, value, count(DISTINCT rel_id) AS r FROM item WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT field, value, CASE WHEN r <= 2 THEN 'rare' ELSE 'common' END AS mark FROM counted WHERE r <= 2 OR r > 0.05 * (SELECT count(*) FROM compact_relation)
+"""
+
 P6_SQL = """
 SELECT mention_id FROM (
   SELECT mention_id, row_number() OVER (PARTITION BY sent_id, type ORDER BY confidence DESC NULLS LAST, end_char - start_char DESC NULLS LAST, start_char NULLS LAST, mention_id) AS k
@@ -46,5 +62,5 @@ WITH plain AS (
 SELECT rel_id_a, rel_id AS rel_id_b FROM fact WHERE rel_id <> rel_id_a
 """
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
-ORACLES = {"p6_found": P6_SQL, "p7_found": P7_SQL}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+ORACLES = {"p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
