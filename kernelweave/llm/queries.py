@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from kernelweave.llm.duplicates import duplicate_members
 from kernelweave.llm.frequency import mark_extremes, terms, value_counts
+from kernelweave.llm.fuzzy import match_names
 from kernelweave.llm.tokens import encode_column
 from kernelweave.llm.topn import top_n
 from kernelweave.runtime import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The gazetteer entry meant by every name typed by hand, or none."""
+    manual = table(spark, d, "mention").where("source = 'manual'").dropDuplicates(["mention_id"])
+    name = F.when(F.regexp_replace(F.coalesce("monad", F.lit("")), r"[\s\p{Z}]+", "") != "", F.col("monad")).otherwise(F.coalesce("text", F.lit("")))
+    typed = manual.select(F.col("mention_id").alias("item"), F.col("type").alias("kind"), name.alias("name"))
+    names = table(spark, d, "gazetteer").select(F.col("type").alias("kind"), F.col("idx").alias("entry"), F.col("t").alias("name"))
+    return match_names(typed, names).select(F.col("item").alias("mention_id"), F.col("entry").alias("idx"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Values of terms, rel and lang that occur in very few or very many rows."""
     rows = table(spark, d, "compact_relation")
@@ -36,6 +46,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+P3_SQL = r"""
+WITH typed AS (
+  SELECT DISTINCT mention_id, type, CASE WHEN regexp_replace(coalesce(monad, ''), '[\s\p{Z}]+', '', 'g') <> '' THEN monad ELSE coalesce(text, '') END AS name FROM mention WHERE source = 'manual'
+), plain AS (
+  SELECT mention_id, type, trim(regexp_replace(lower(strip_accents(name)), '[^\p{L}\p{N}]+', ' ', 'g')) AS f FROM typed
+), folded AS (SELECT mention_id, type, CASE WHEN regexp_full_match(f, '\p{L}(?: \p{L})+') THEN replace(f, ' ', '') ELSE f END AS f FROM plain),
+word AS (SELECT DISTINCT type, f, string_split(f, ' ') AS w FROM folded),
+turned AS (SELECT DISTINCT type, f, array_to_string(list_concat(w[k + 1:], w[:k]), ' ') AS t FROM (SELECT *, unnest(range(len(w))) AS k FROM word)),
+entry AS (SELECT type, idx, trim(regexp_replace(lower(strip_accents(t)), '[^\p{L}\p{N}]+', ' ', 'g')) AS g FROM gazetteer),
+near AS (SELECT t.type, t.f, e.idx, min(levenshtein(t.t, e.g)) AS n FROM turned t JOIN entry e ON t.type = e.type AND abs(length(t.t) - length(e.g)) <= 2
+  WHERE t.f <> '' AND levenshtein(t.t, e.g) <= CASE WHEN length(e.g) <= 5 THEN 0 ELSE 2 END GROUP BY 1, 2, 3),
+best AS (SELECT type, f, min_by(idx, n) AS idx FROM (SELECT *, min(n) OVER (PARTITION BY type, f) AS least FROM near) WHERE n = least GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT mention_id, coalesce(b.idx, 'none') AS idx FROM folded LEFT JOIN best b USING (type, f)
+"""
+
 P4_SQL = r"""
 WITH item AS (
   SELECT rel_id, 'term' AS field, unnest(list_transform(regexp_extract_all(surface_start, '[\p{L}\p{Nd}]+'), lambda x: lower(x))) AS value FROM compact_relation
@@ -62,5 +87,5 @@ WITH plain AS (
 SELECT rel_id_a, rel_id AS rel_id_b FROM fact WHERE rel_id <> rel_id_a
 """
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
-ORACLES = {"p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
