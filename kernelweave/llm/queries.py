@@ -10,6 +10,7 @@ from kernelweave.llm.frequency import mark_extremes, terms, value_counts
 from kernelweave.llm.fuzzy import match_names
 from kernelweave.llm.tokens import encode_column
 from kernelweave.llm.topn import top_n
+from kernelweave.llm.truncation import share_by_source, truncated
 from kernelweave.runtime import table
 
 
@@ -46,6 +47,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose text was cut."""
+    return truncated(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, cut ones and their share for every source."""
+    return share_by_source(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
 P3_SQL = r"""
 WITH typed AS (
   SELECT DISTINCT mention_id, type, CASE WHEN regexp_replace(coalesce(monad, ''), '[\s\p{Z}]+', '', 'g') <> '' THEN monad ELSE coalesce(text, '') END AS name FROM mention WHERE source = 'manual'
@@ -87,5 +98,5 @@ WITH plain AS (
 SELECT rel_id_a, rel_id AS rel_id_b FROM fact WHERE rel_id <> rel_id_a
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_share": p10_share}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
