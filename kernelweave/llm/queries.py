@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from kernelweave.llm.duplicates import duplicate_members
 from kernelweave.llm.frequency import mark_extremes, terms, value_counts
 from kernelweave.llm.fuzzy import match_names
+from kernelweave.llm.packing import containers, fill
 from kernelweave.llm.tokens import encode_column
 from kernelweave.llm.topn import top_n
 from kernelweave.llm.truncation import share_by_source, truncated
-from kernelweave.runtime import table
+from kernelweave.runtime import cut, table
+
+CAPACITY = 2048
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +50,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return containers(cut(encode_column(table(spark, d, "documents"), "doc_id", "text", only_count=True)), CAPACITY)
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text or piece."""
+    return _placed(spark, d)
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces and tokens of every container."""
+    return fill(_placed(spark, d), CAPACITY)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Every document whose text was cut."""
     return truncated(table(spark, d, "documents").select("doc_id", "source", "text"))
@@ -98,5 +115,5 @@ WITH plain AS (
 SELECT rel_id_a, rel_id AS rel_id_b FROM fact WHERE rel_id <> rel_id_a
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_share": p10_share}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
