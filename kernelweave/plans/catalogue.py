@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelweave.plans import graph_queries, mentions, refinery, strings
+from kernelweave.plans import graph_queries, mentions, reasoning, refinery, strings
 
-MODULES = (refinery, strings, mentions, graph_queries)
+MODULES = (refinery, strings, mentions, graph_queries, reasoning)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 
