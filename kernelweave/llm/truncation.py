@@ -1,35 +1,39 @@
 """Texts that were cut by a field limit or in transfer.
 
 Limits: the length of every document is computed under several encodings (characters, UTF-8 and UTF-16
-bytes, entity and JSON escaping, newline conversion) and unfinished texts are counted by (source,
-encoding, length); a length where they pile up is that source's limit. Endings: a mark of omission or
+bytes, entity and JSON escaping, newline conversion) and distinct texts are counted by (source,
+encoding, length); a length where unfinished ones pile up and that few texts exceed is that source's limit. Endings: a mark of omission or
 a broken character shows a cut; trailers, references, tags and closed sentences are complete; an open line
 that follows a closed sentence is cut. What remains (headings, lists, unpunctuated lines) is cut at a
 limit, or where its last word never ends a line in the corpus although it occurs, or is only the
 beginning of other words.
 
-Defined results: null, empty and blank texts are no cases; a null source is a source of its own.
+Defined results: null, empty and blank texts are no cases; a text without source is held against the exact
+limits of all sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelweave.runtime import broadcast_if_small
 
 PILE = 3
 SHORTEST_LIMIT = 100
-AROUND = 10
-_CLOSE = r"""["”“»'’)\]]*"""
+WORD_WIDTH = 12
+_ENCODINGS = ("chars", "utf8", "utf16", "entities", "json", "crlf")
+_CLOSE = r"""["”“»’')\]]*"""
 _MARK = r"(?:…|\.\.\.|\[(?:\.\.\.|…)\]|\((?:more|cont\.?|continued)\)|\[(?:truncated|cut)\]|\x{FFFD})$"
-_TRAILER = r"(?:(?:^|\s)(?:\*{3,}|\(end\)|\[\d+ photos?\]|https?://\S+|Ref\. ?\d+/\d+|--? \p{L}+, desk \d+)|^(?:Sent from \p{L}+ \d+|Filed by \p{L}+|(?:#\S+\s*)+|[^\p{L}\p{N}&<(\x{FFFD}]+))$"
+_SIGN = r"Sent from \p{L}+ \d+|Filed by \p{L}+|(?:#\S+\s*)+|[^\p{L}\p{N}&<(\x{FFFD}]+"
+_TRAILER = rf"(?:(?:^|\s)(?:\*{{3,}}|\(end\)|\[\d+ photos?\]|https?://\S+|Ref\. ?\d+/\d+|--? \p{{L}}+, desk \d+)|^(?:{_SIGN})|[.!?]{_CLOSE}\s+(?:{_SIGN}))$"
+_BROKEN_END = r"\(approx\.$|(?:^|\s)v\d+(?:\.\d+)?\.$"
 _INSIDE = rf"""[.!?…]{_CLOSE}\s+["“«„'‘(¿¡]*\p{{Lu}}"""
 _ITEM = r"^\s*(?:\d+[.)]|[-*•–])\s+"
 
 
 def _ends(text: Column) -> Column:
-    return text.rlike(rf"[.!?]{_CLOSE}$") & ~text.rlike(r"& co\.$")
+    return text.rlike(rf"[.!?]{_CLOSE}$") & ~text.rlike(rf"& co\.$|{_BROKEN_END}")
 
 
 def _trimmed(text: Column) -> Column:
@@ -56,16 +60,31 @@ def encoded_lengths(text: Column) -> Column:
     return F.array(*[F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n")) for name, n in lengths.items()])
 
 
-def limits(open_texts: DataFrame) -> DataFrame:
-    """source, encoding, n where unfinished texts pile up; `open_texts` has source and text."""
-    sizes = open_texts.select("source", F.inline(encoded_lengths(F.col("text"))))
-    counts = sizes.where(F.col("n") >= SHORTEST_LIMIT).groupBy("source", "encoding", "n").agg(F.count(F.lit(1)).alias("c"))
-    high = counts.where(F.col("c") >= PILE)
-    near = high.select("source", "encoding", F.col("n").alias("at"), F.explode(F.sequence(F.col("n") - AROUND, F.col("n") + AROUND)).alias("n"))
-    beside = counts.withColumnRenamed("source", "s").withColumnRenamed("encoding", "e").withColumnRenamed("n", "m")
-    met = near.join(beside, F.col("source").eqNullSafe(F.col("s")) & (F.col("encoding") == F.col("e")) & (F.col("n") == F.col("m")))
-    sums = met.groupBy("source", "encoding", "at").agg(F.sum(F.when(F.col("n") != F.col("at"), F.col("c")).otherwise(0)).alias("others"), F.max(F.when(F.col("n") == F.col("at"), F.col("c"))).alias("c"))
-    return sums.where(F.col("c") * AROUND >= 4 * F.col("others")).select("source", "encoding", F.col("at").alias("n"))
+def limits(texts: DataFrame) -> DataFrame:
+    """source, encoding, low, high: the lengths at which a source's unfinished texts pile up; `texts` has source, text and unfinished.
+
+    Copies of a text count once. A limit is a length that few of the source's texts exceed and where
+    unfinished ones pile up: exactly there (UTF-8 may lack a broken character, other encodings a blank), or, where
+    cuts fall between words, within a word's width below. The encoding with the highest pile
+    explains the source. Lengths are counted before they are compared, so a source of any size is a short table.
+    """
+    once = texts.groupBy("source", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first(encoded_lengths(F.col("text"))).alias("sizes"), F.max(F.col("unfinished").cast("int")).alias("u"))
+    counts = once.select("source", "u", F.inline("sizes")).groupBy("source", "encoding", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("u").alias("u"))
+    own = Window.partitionBy("source", "encoding").orderBy("n")
+    upto = counts.withColumns({
+        "beyond": F.coalesce(F.sum("c").over(Window.partitionBy("source", "encoding").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "near": F.sum("u").over(own.rangeBetween(1 - WORD_WIDTH, 0)),
+        "before": F.coalesce(F.sum("u").over(own.rangeBetween(-4 * WORD_WIDTH, -WORD_WIDTH)), F.lit(0)),
+    }).where(F.col("n") >= SHORTEST_LIMIT)
+    exact = (F.col("u") >= PILE) & (F.col("beyond") <= F.col("u")) & (2 * F.col("u") >= F.col("near"))
+    wide = (F.col("near") >= 2 * PILE) & (3 * F.col("beyond") <= F.col("near")) & (3 * F.col("near") >= 4 * F.col("before"))
+    rank = F.array_position(F.array(*map(F.lit, _ENCODINGS)), F.col("encoding"))
+    found = upto.where(exact | wide).withColumn("height", F.when(exact, F.col("u") + F.col("near")).otherwise(F.col("near") - F.col("beyond")))
+    slack = F.when(~exact, WORD_WIDTH - 1).when(F.col("encoding") == "utf8", 3).otherwise(1)
+    best = found.groupBy("source").agg(F.min(F.struct((-F.col("height")).alias("height"), rank.alias("rank"), "n", "encoding", slack.alias("slack"), exact.alias("exact"))).alias("b"))
+    sourced = best.select("source", "b.encoding", (F.col("b.n") - F.col("b.slack")).alias("low"), F.col("b.n").alias("high"), "b.exact")
+    anywhere = sourced.where("exact AND source IS NOT NULL").select(F.lit(None).cast("string").alias("source"), "encoding", F.col("high").alias("low"), "high").distinct()
+    return sourced.where("source IS NOT NULL").select("source", "encoding", "low", "high").unionByName(anywhere)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -79,7 +98,7 @@ def judge(docs: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("t").rlike(_MARK), "cut")
         .when(last.rlike(_TRAILER) | _ends(F.col("t")), "whole")
-        .when(bare.rlike(_INSIDE) | (~item & _ends(previous)) | bare.rlike(r"& co\.$|&\w*$|<\w*>?$|\bw/$|[,(]$"), "cut")
+        .when(bare.rlike(_INSIDE) | (~item & _ends(previous)) | bare.rlike(_BROKEN_END) | bare.rlike(r"& co\.$|&\w*$|<\w*>?$|\bw/$|[,(]$"), "cut")
         .otherwise("open")
     )
     word = F.lower(F.regexp_extract("t", r"([\p{L}\p{M}\p{N}'’]+)[^\p{L}\p{N}]*$", 1))
@@ -88,7 +107,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def line_words(docs: DataFrame) -> DataFrame:
     """word, n (occurrences) and ends (as the last word of a sentence or line that others follow)."""
-    parts = _lines(_trimmed(F.col("text")))
+    parts = _lines(_trimmed(F.regexp_replace(_trimmed(F.col("text")), _MARK, "")))
     lines = docs.select(F.posexplode(parts), F.size(parts).alias("k"))
     sentences = lines.select(F.posexplode(F.split("col", rf"(?<=[.!?])(?={_CLOSE}\s+)")).alias("at", "s"), (F.col("pos") < F.col("k") - 1).alias("followed"))
     words = sentences.select(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{M}\p{N}'’]+"), F.lit(0)).alias("w"), (F.col("followed") | F.col("s").rlike(rf"[.!?]{_CLOSE}$")).alias("closed"))
@@ -101,10 +120,10 @@ def truncated(docs: DataFrame) -> DataFrame:
     """doc_id of every text that was cut; `docs` has doc_id, source and text."""
     judged = judge(docs)
     unsure = judged.where("verdict = 'open'")
-    lim = broadcast_if_small(limits(judged.where("verdict <> 'whole'").select("source", "text")))
-    lim = lim.select(F.col("source").alias("s"), F.col("encoding").alias("e"), F.col("n").alias("m"))
+    lim = broadcast_if_small(limits(judged.select("source", "text", (F.col("verdict") != "whole").alias("unfinished"))))
+    lim = lim.select(F.col("source").alias("s"), F.col("encoding").alias("e"), "low", "high")
     sizes = unsure.select("doc_id", "source", F.inline(encoded_lengths(F.col("text"))))
-    at_limit = sizes.join(lim, F.col("source").eqNullSafe(F.col("s")) & (F.col("encoding") == F.col("e")) & (F.col("n") == F.col("m")), "left_semi").select("doc_id")
+    at_limit = sizes.join(lim, F.col("source").eqNullSafe(F.col("s")) & (F.col("encoding") == F.col("e")) & F.col("n").between(F.col("low"), F.col("high")), "left_semi").select("doc_id")
     words = line_words(docs)
     asked = unsure.select("word").where("word <> ''").distinct()
     never = words.join(asked, "word").where("ends * 50 < n AND n >= 5").select("word")
