@@ -24,39 +24,46 @@ def _r(value: Column) -> Column:
     return F.round(value, 6)
 
 
-X, Y = F.col("x"), F.col("y")
+def _ends() -> tuple[Column, Column]:
+    return F.col("x"), F.col("y")
 
 
 def lev_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Edits and edit similarity of the two surfaces of every relation."""
-    return _surfaces(spark, d).select("x", "y", F.levenshtein("x", "y").alias("edits"), _r(T.edit_similarity(X, Y)).alias("similarity"))
+    x, y = _ends()
+    return _surfaces(spark, d).select("x", "y", F.levenshtein("x", "y").alias("edits"), _r(T.edit_similarity(x, y)).alias("similarity"))
 
 
 def wordwise_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Product over the words of x of the best similarity to a word of y."""
-    return _surfaces(spark, d).select("x", "y", _r(T.wordwise_similarity(T.words(X), T.words(Y))).alias("similarity"))
+    x, y = _ends()
+    return _surfaces(spark, d).select("x", "y", _r(T.wordwise_similarity(T.words(x), T.words(y))).alias("similarity"))
 
 
 def bigram_set_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of the sets of character pairs."""
-    return _surfaces(spark, d).select("x", "y", _r(T.bigram_set_similarity(X, Y)).alias("similarity"))
+    x, y = _ends()
+    return _surfaces(spark, d).select("x", "y", _r(T.bigram_set_similarity(x, y)).alias("similarity"))
 
 
 def bigram_kernel(spark: SparkSession, d: str) -> DataFrame:
     """Kernel of character pairs and its normal form."""
-    k = T.bigram_kernel(X, Y)
-    return _surfaces(spark, d).select("x", "y", k.alias("kernel"), _r(T.normal_kernel(k, T.bigram_kernel(X, X), T.bigram_kernel(Y, Y))).alias("normal"))
+    x, y = _ends()
+    k = T.bigram_kernel(x, y)
+    return _surfaces(spark, d).select("x", "y", k.alias("kernel"), _r(T.normal_kernel(k, T.bigram_kernel(x, x), T.bigram_kernel(y, y))).alias("normal"))
 
 
 def dice_multiset(spark: SparkSession, d: str) -> DataFrame:
     """Dice coefficient of the multisets of character pairs."""
-    return _surfaces(spark, d).select("x", "y", _r(T.multiset_dice(T.bigrams(X), T.bigrams(Y))).alias("similarity"))
+    x, y = _ends()
+    return _surfaces(spark, d).select("x", "y", _r(T.multiset_dice(T.bigrams(x), T.bigrams(y))).alias("similarity"))
 
 
 def prevailing_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Literal similarity where it prevails, else that of the trigrams."""
-    literal = F.greatest(T.edit_similarity(X, Y), T.bigram_set_similarity(X, Y))
-    return _surfaces(spark, d).select("x", "y", _r(T.prevailing(literal, T.set_similarity(T.trigrams(X), T.trigrams(Y)))).alias("similarity"))
+    x, y = _ends()
+    literal = F.greatest(T.edit_similarity(x, y), T.bigram_set_similarity(x, y))
+    return _surfaces(spark, d).select("x", "y", _r(T.prevailing(literal, T.set_similarity(T.trigrams(x), T.trigrams(y)))).alias("similarity"))
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
