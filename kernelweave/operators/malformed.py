@@ -5,16 +5,19 @@ error code or null; the non-null codes form an `errors` array, and a line is loa
 that array is empty. Splitting, unquoting and the id rules stay in the JVM. JSON is checked by the
 JVM's strict parser; only the few values which that parser refuses are looked at again in an
 Arrow-batched Python function, since the parser also refuses valid texts with repeated keys, very
-deep nesting or very long numbers.
+deep nesting or very long numbers. A line is judged once: the verdict passes through a generator, which
+no filter is pushed through, so neither side of the split computes the rules again.
 
 Defined results: a null line has no fields (`columns`); an empty line has one field (`columns`);
 lines of any length are handled; repeated lines are judged one by one; extra input columns are
-kept as they are.
+kept on both sides, whatever their names; rejected rows keep their line. A weight that is no number is no
+reason to reject a line: it loads as null and the row's `warnings` say so.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,6 +71,37 @@ def split_delimited(line: Column, width: int) -> Column:
     return F.when(line.startswith('"') | F.contains(line, F.lit('\t"')), folded).otherwise(plain)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|([][{},:]))')
+
+
+def nested_object(text: str) -> bool:
+    """Whether a text is one strict JSON object, by a stack of open brackets; for nesting beyond any parser's depth."""
+    stack: list[str] = []
+    want, at = "value", 0
+    while found := _TOKEN.match(text, at):
+        string, scalar, sign = found.groups()
+        at = found.end()
+        if want == "end" or (not stack and sign != "{"):
+            return False
+        if string and want in ("key", "first key"):
+            want = "colon"
+        elif (string or scalar) and want in ("value", "first item"):
+            want = "next"
+        elif sign in ("{", "[") and want in ("value", "first item"):
+            stack.append(sign)
+            want = "first key" if sign == "{" else "first item"
+        elif sign == ":" and want == "colon":
+            want = "value"
+        elif sign == "," and want == "next":
+            want = "key" if stack[-1] == "{" else "value"
+        elif sign in ("}", "]") and stack and stack[-1] == ("{" if sign == "}" else "[") and want in ("next", "first key" if sign == "}" else "first item"):
+            stack.pop()
+            want = "next" if stack else "end"
+        else:
+            return False
+    return want == "end" and not text[at:].strip(" \t\n\r")
+
+
 @F.pandas_udf(T.BooleanType())
 def _strict_object(texts: pd.Series) -> pd.Series:
     def refuse(_: str) -> None:
@@ -78,7 +112,9 @@ def _strict_object(texts: pd.Series) -> pd.Series:
             return None
         try:
             return isinstance(json.loads(text, parse_constant=refuse, parse_int=str, parse_float=str), dict)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            return nested_object(text)
+        except ValueError:
             return False
 
     return texts.map(check, na_action=None)
@@ -115,20 +151,21 @@ def judge_lines(df: DataFrame, line_col: str = "raw_line") -> DataFrame:
         F.when(shaped & ~at["start_id"].rlike(CONCEPT_PATTERN), "bad_start"),
         F.when(shaped & ~(at["end_id"].rlike(CONCEPT_PATTERN) | at["end_id"].rlike(ADDRESS_PATTERN)), "bad_end"),
     ]
-    return kept.select(
-        *[F.col("__row").getField(c).alias(c) for c in cols],
-        F.col("__cut.fields").alias("__fields"),
-        F.array_compact(F.array(*rules)).alias("__errors"),
-    )
+    judged = F.struct(F.col("__cut.fields").alias("fields"), F.array_compact(F.array(*rules)).alias("errors"))
+    once = kept.select("__row", F.explode(F.array(judged)).alias("__judged"))
+    return once.select(*[F.col("__row").getField(c).alias(c) for c in cols], F.col("__judged.fields").alias("__fields"), F.col("__judged.errors").alias("__errors"))
 
 
 def load_assertions(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_line") -> tuple[DataFrame, DataFrame]:
-    """(loaded, rejected): typed rows `line_id, <seven fields>`, and `line_id, reason, errors`."""
+    """(loaded, rejected): typed rows `line_id, <seven fields>, warnings`, and `line_id, reason, errors, raw_line`; further input columns follow on both sides."""
     judged = judge_lines(df, line_col)
-    fields = [F.get(F.col("__fields"), F.lit(k)).alias(n) for k, n in enumerate(ASSERTION_FIELDS) if n != "weight"]
-    weight = F.get(F.col("__fields"), F.lit(ASSERTION_FIELDS.index("weight"))).try_cast("double").alias("weight")
-    loaded = judged.where(F.size("__errors") == 0).select(F.col(f"`{id_col}`").alias("line_id"), *fields, weight)
-    rejected = judged.where(F.size("__errors") > 0).select(
-        F.col(f"`{id_col}`").alias("line_id"), F.get(F.col("__errors"), F.lit(0)).alias("reason"), F.col("__errors").alias("errors")
-    )
+    field = lambda n: F.get(F.col("__fields"), F.lit(ASSERTION_FIELDS.index(n)))
+    number = field("weight").try_cast("double")
+    made = [field(n).alias(n) for n in ASSERTION_FIELDS if n != "weight"] + [number.alias("weight")]
+    warnings = F.array_compact(F.array(F.when(field("weight").isNotNull() & number.isNull(), "bad_weight"))).alias("warnings")
+    taken = {"line_id", "warnings", "reason", "errors", "raw_line", *ASSERTION_FIELDS}
+    rest = [F.col(f"`{c}`").alias(f"in_{c}" if c in taken else c) for c in df.columns if c not in (id_col, line_col)]
+    key = F.col(f"`{id_col}`").alias("line_id")
+    loaded = judged.where(F.size("__errors") == 0).select(key, *made, warnings, *rest)
+    rejected = judged.where(F.size("__errors") > 0).select(key, F.get(F.col("__errors"), F.lit(0)).alias("reason"), F.col("__errors").alias("errors"), F.col(f"`{line_col}`").alias("raw_line"), *rest)
     return loaded, rejected
