@@ -32,11 +32,14 @@ def _decoded(text: Column) -> Column:
     return _let(F.btrim(text, F.lit(" \t\r\n")), read)
 
 
-def json_text(text: Column, encodings: int = 3) -> Column:
-    """The text of a JSON value, freed from up to `encodings` layers of being written as a string."""
-    for _ in range(encodings):
-        text = _decoded(text)
-    return text
+def json_text(text: Column) -> Column:
+    """The text of a JSON value, freed from every layer of being written as a string.
+
+    Each layer doubles the backslashes of the one within, so a text has no more layers than its length has
+    binary digits; that many steps are exact, and those beyond the last layer change nothing.
+    """
+    steps = F.ceil(F.log2((F.length(text) + 2).cast("double"))).cast("int")
+    return F.when(F.ltrim(text).startswith('"'), F.aggregate(F.sequence(F.lit(1), steps), text, lambda t, _: _decoded(t))).otherwise(F.btrim(text, F.lit(" \t\r\n")))
 
 
 def as_list(text: Column) -> Column:
@@ -107,8 +110,10 @@ def _fields(text: Column, names: list[str]) -> Column:
     return F.from_json(json_text(text), ddl)
 
 
-def _whole(text: Column) -> Column:
-    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+def whole_number(text: Column) -> Column:
+    """A whole number, also written with a fraction of zeros or an exponent; anything else is null, nothing is rounded."""
+    exact = text.try_cast("decimal(38,12)")
+    return F.coalesce(text.try_cast("bigint"), F.when(exact == F.floor(exact), exact.try_cast("bigint")))
 
 
 def shred_objects(df: DataFrame, key: str, column: str, levels: tuple[str, str, str] = ("objects", "phi", "score"), recursive: tuple[str, ...] = ("sum_operands", "prod_operands")) -> dict[str, DataFrame]:
@@ -121,12 +126,13 @@ def shred_objects(df: DataFrame, key: str, column: str, levels: tuple[str, str,
     schema = merged_schema(df, column, list(levels), recursive)
     names = {k: [n for n in schema.get(k, ([], 0))[0]] for k in levels}
     depth = schema.get(low, ([], 0))[1]
-    unwrap = lambda x: F.when(x.startswith("{") & F.array_contains(F.json_object_keys(x), top), F.get_json_object(x, f"$.{top}")).otherwise(x)
+    lone = lambda x: _let(F.json_object_keys(x), lambda keys: F.when(F.array_contains(keys, top), F.get_json_object(x, f"$.{top}")).when(keys.isNotNull(), x))
+    unwrap = lambda x: F.when(x.startswith("{"), lone(x)).otherwise(x)
     source = df.select(F.col(f"`{key}`").alias("rec_id"), as_list(_let(json_text(F.col(f"`{column}`")), unwrap)).alias("__l"))
     need = lambda k, extra: sorted(set(names[k]) | set(extra))
 
     objects = source.select("rec_id", F.posexplode("__l").alias("obj_pos", "__t")).select("rec_id", "obj_pos", _fields(F.col("__t"), need(top, ["id", mid])).alias("f"))
-    items = objects.select("rec_id", "obj_pos", _whole(F.col("f.id")).alias("obj_id"), F.posexplode(as_list(F.col(f"f.{mid}"))).alias("item_no", "__t"))
+    items = objects.select("rec_id", "obj_pos", whole_number(F.col("f.id")).alias("obj_id"), F.posexplode(as_list(F.col(f"f.{mid}"))).alias("item_no", "__t"))
     items = items.select("rec_id", "obj_pos", "obj_id", "item_no", _fields(F.col("__t"), need(mid, [low])).alias("f"))
 
     wanted = need(low, ["type", *recursive])
