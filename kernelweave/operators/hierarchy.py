@@ -87,12 +87,14 @@ def _chain_heads(tree: DataFrame) -> DataFrame:
 def _light_offsets(nodes: DataFrame) -> DataFrame:
     """id, gap of every chain head but the roots: its number less its parent's number.
 
-    Light siblings follow the heavy child's subtree in order of (bucket, id).
+    Light siblings follow the heavy child's subtree in order of id. Buckets are ranges of ids, so their number
+    bears on the work alone and never on the order.
     """
     light = nodes.where(F.col("parent").isNotNull() & ~F.col("heavy"))
-    fan = light.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
-    buckets = -(-fan // SIBLINGS_PER_BUCKET) or 1
-    light = light.select("id", "parent", "size", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("b"))
+    fan, low, high = light.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+    buckets = -(-(fan or 0) // SIBLINGS_PER_BUCKET) or 1
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    light = light.select("id", "parent", "size", F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).alias("b"))
     within = Window.partitionBy("parent", "b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("parent").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     light = light.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -151,6 +153,28 @@ def resolve_hierarchy(nodes: DataFrame, links: DataFrame, intervals: bool = Fals
     return out.unionByName(bad)
 
 
+def descendant_rows(tree: DataFrame) -> DataFrame:
+    """node_id, below: every node with each of its descendants, from a resolved tree with intervals.
+
+    The numbers within a node's interval are listed and each is looked up by (root, number), so the work is the
+    size of the result; a big tree is spread over its numbers.
+    """
+    wanted = tree.where("last > first").select("root_id", "node_id", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("at"))
+    return wanted.join(tree.select("root_id", F.col("first").alias("at"), F.col("node_id").alias("below")), ["root_id", "at"]).select("node_id", "below")
+
+
+def dropped_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """parent, child, reason of the links that do not count: `absent` where an end has no row, `other parent` where the child keeps a smaller one."""
+    ids = nodes.select("id").where("id IS NOT NULL").distinct()
+    known = links.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct()
+    has = lambda c: ids.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}"))
+    met = known.join(has("parent"), "parent", "left").join(has("child"), "child", "left")
+    least = met.where("has_parent AND has_child").groupBy("child").agg(F.min("parent").alias("kept"))
+    out = met.join(least, "child", "left")
+    reason = F.when(F.col("has_parent").isNull() | F.col("has_child").isNull(), "absent").when(F.col("parent") != F.col("kept"), "other parent")
+    return out.select("parent", "child", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def containment_links(gsm: DataFrame, kinds: DataFrame) -> DataFrame:
     """parent, child of the links whose containment, however written, is a tree kind."""
     kind = F.lower(F.regexp_replace("containment", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))

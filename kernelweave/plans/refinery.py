@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.operators.hierarchy import containment_links, resolve_hierarchy
+from kernelweave.operators.hierarchy import containment_links, descendant_rows, resolve_hierarchy
 from kernelweave.operators.malformed import load_assertions
-from kernelweave.operators.shredding import number_leaves, shred_list, shred_objects
+from kernelweave.operators.shredding import number_leaves, shred_list, shred_objects, whole_number
 from kernelweave.runtime import table
 
 
@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid lines as typed rows."""
-    return load_assertions(table(spark, d, "conceptnet_line").select("line_id", "raw_line"))[0]
+    return load_assertions(table(spark, d, "conceptnet_line").select("line_id", "raw_line"))[0].drop("warnings")
 
 
 def _gsm(spark: SparkSession, d: str, intervals: bool) -> DataFrame:
@@ -32,17 +32,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Preorder interval and number of descendants of every node that is in a tree."""
+    """Number of descendants of every node that is in a tree, from its interval."""
     found = _gsm(spark, d, True).where(F.col("status") == "tree")
-    return found.select("node_id", "root_id", "first", "last", (F.col("last") - F.col("first")).alias("n_below"))
+    return found.select("node_id", "root_id", (F.col("last") - F.col("first")).alias("n_below"))
+
+
+def p2_below(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each of its descendants."""
+    return descendant_rows(_gsm(spark, d, True).where(F.col("status") == "tree"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Leaves of nested scores and items of nested sources as flat rows."""
     record = table(spark, d, "gsm_record").select("record_id", "payload")
     leaves = number_leaves(shred_objects(record, "record_id", "payload")["score"], "ProvPhi")
-    whole = lambda c: F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
-    gsm = leaves.select(F.lit("gsm").alias("origin"), "rec_id", "obj_id", F.col("item_no").cast("long").alias("item_no"), F.col("leaf_no").cast("long").alias("leaf_no"), F.col("f.label").alias("label"), whole(F.col("f.child")).alias("child"))
+    gsm = leaves.select(F.lit("gsm").alias("origin"), "rec_id", "obj_id", F.col("item_no").cast("long").alias("item_no"), F.col("leaf_no").cast("long").alias("leaf_no"), F.col("f.label").alias("label"), whole_number(F.col("f.child")).alias("child"))
     zero = F.lit(0).cast("long")
     sources = shred_list(table(spark, d, "conceptnet_edge").select("edge_id", "data"), "edge_id", "data", "sources")
     data = sources.select(F.lit("data").alias("origin"), "rec_id", zero.alias("obj_id"), F.col("item_no").cast("long").alias("item_no"), zero.alias("leaf_no"), F.coalesce("f.contributor", F.lit("")).alias("label"), zero.alias("child"))
@@ -74,6 +78,13 @@ SELECT line_id, reason FROM (SELECT line_id, CASE WHEN t IS NULL THEN 'columns'
   WHEN NOT regexp_full_match(e, '{_CONCEPT}|https?://[^\\s\\p{{Z}}]+') THEN 'bad_end' END AS reason FROM judged) WHERE reason IS NOT NULL
 """
 
+_PART = "CASE WHEN f{k}[1] = '\"' THEN replace(f{k}[2:-2], '\"\"', '\"') ELSE f{k} END"
+_CUTS = ", ".join(f"regexp_extract(t, '^(?:{_FIELD}\\t){{{{{k}}}}}({_FIELD})(?:\\t|$)', 1) AS f{k}".replace("{{", "{").replace("}}", "}") for k in range(7))
+P1_LOADED_SQL = _LINES + f"""
+SELECT line_id, {", ".join(f"{_PART.format(k=k)} AS {n}" for k, n in enumerate(("id", "uri", "relation_id", "start_id", "end_id")))}, {_PART.format(k=6)} AS data, TRY_CAST({_PART.format(k=5)} AS DOUBLE) AS weight
+FROM (SELECT line_id, {_CUTS} FROM judged WHERE ok AND regexp_full_match(s, '{_CONCEPT}') AND regexp_full_match(e, '{_CONCEPT}|https?://[^\\s\\p{{Z}}]+'))
+"""
+
 P2_SQL = r"""
 WITH RECURSIVE node AS (SELECT DISTINCT id FROM gsm WHERE id IS NOT NULL),
 item AS (SELECT id AS parent, unnest(phi) AS p FROM gsm),
@@ -90,6 +101,11 @@ SELECT node_id, root_id, depth, path, 'tree' AS status FROM tree
 UNION ALL SELECT id, -1, -1, '', CASE WHEN EXISTS (SELECT 1 FROM up WHERE up.id = bad.id AND up.anc = bad.id) THEN 'on_cycle' ELSE 'under_cycle' END FROM bad
 """
 
+_BELOW = P2_SQL.partition("bad AS")[0].rstrip().rstrip(",") + """, pair AS (SELECT node_id, node_id AS anc FROM tree UNION ALL SELECT p.node_id, l.parent FROM pair p JOIN link l ON l.child = p.anc)
+"""
+P2_BELOW_SQL = _BELOW + "SELECT anc AS node_id, node_id AS below FROM pair WHERE anc <> node_id"
+P2_DESCENDANTS_SQL = _BELOW + "SELECT anc AS node_id, any_value(t.root_id) AS root_id, count(*) - 1 AS n_below FROM pair JOIN tree t ON t.node_id = pair.anc GROUP BY 1"
+
 _DECODE = "CASE WHEN {x} IS NOT NULL AND json_type({x}) = 'VARCHAR' AND json_valid(json_extract_string({x}, '$')) THEN json_extract_string({x}, '$')::JSON ELSE {x} END"
 _LISTED = "CASE json_type({x}) WHEN 'ARRAY' THEN from_json({x}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{x}] END"
 P5_SQL = f"""
@@ -114,5 +130,5 @@ FROM walk WHERE json_extract_string(s, '$.type') = 'ProvPhi'
 UNION ALL SELECT 'data', edge_id, 0, k, 0, coalesce(json_extract_string({_DECODE.format(x="s")}, '$.contributor'), ''), 0 FROM one
 """
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_descendants": p2_descendants, "p5_found": p5_found}
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_descendants": p2_descendants, "p2_below": p2_below, "p5_found": p5_found}
+ORACLES = {"p1_found": P1_SQL, "p1_loaded": P1_LOADED_SQL, "p2_found": P2_SQL, "p2_descendants": P2_DESCENDANTS_SQL, "p2_below": P2_BELOW_SQL, "p5_found": P5_SQL}
