@@ -7,7 +7,8 @@ are counted exactly. A scan over the sorted runs emits one row per value and Arr
 and these partial runs are summed.
 
 Defined results: nulls are no values; a text without letters and digits has no terms; a record id
-that occurs on several rows counts once per value; an empty table gives no rows.
+that occurs on several rows counts once per value, and rows without an id are one record; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        field, value, rec = (batch.column(k) for k in range(3))
+        field, value, absent, rec = (batch.column(k) for k in range(4))
         new_value = np.concatenate([[True], _changes(field) | _changes(value)])
-        new_pair = new_value | np.concatenate([[True], _changes(rec)])
-        if last == (field[0].as_py(), value[0].as_py(), rec[0].as_py()):
+        new_pair = new_value | np.concatenate([[True], _changes(absent) | _changes(rec)])
+        if last == tuple(c[0].as_py() for c in (field, value, absent, rec)):
             new_pair[0] = False
-        last = (field[-1].as_py(), value[-1].as_py(), rec[-1].as_py())
+        last = tuple(c[-1].as_py() for c in (field, value, absent, rec))
         at = np.flatnonzero(new_value)
         seen = np.diff(np.append(at, batch.num_rows))
         recs = np.add.reduceat(new_pair.astype(np.int64), at)
@@ -60,8 +61,12 @@ def value_counts(df: DataFrame, record: str, values: dict[str, Column]) -> DataF
     `values` maps a field's name to an array column of its values in a row.
     """
     pairs = F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), _named(name)) for name, c in values.items()])
-    flat = df.select(F.col(f"`{record}`").cast("long").alias("rec"), F.explode(pairs).alias("p")).select("p.field", "p.value", "rec").where(F.col("value").isNotNull())
-    ordered = flat.repartitionByRange("field", "value", "rec").sortWithinPartitions("field", "value", "rec")
+    key = F.col(f"`{record}`")
+    whole = df.select(key).schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    rec = F.coalesce(key.cast("long"), F.lit(0).cast("long")) if whole else F.coalesce(key.cast("string"), F.lit(""))
+    flat = df.select(key.isNull().alias("absent"), rec.alias("rec"), F.explode(pairs).alias("p")).select("p.field", "p.value", "absent", "rec").where(F.col("value").isNotNull())
+    order = ["field", "value", "absent", "rec"]
+    ordered = flat.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = ordered.mapInArrow(_scan, "field string, value string, n long, r long")
     return runs.groupBy("field", "value").agg(F.sum("n").alias("occurrences"), F.sum("r").alias("records"))
 
