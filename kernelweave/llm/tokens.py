@@ -146,7 +146,10 @@ class Encoder:
                     heapq.heappush(heap, (rank[x], x))
         out, k = [], 0 if n else -1
         while k >= 0:
-            out.append(get(piece[k : end[k]]))
+            part = get(piece[k : end[k]])
+            if part < 0:
+                raise ValueError(f"the vocabulary has no token for {piece[k : end[k]]!r}")
+            out.append(part)
             k = after[k]
         return out
 
