@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernelweave.runtime import broadcast_if_small
+from kernelweave.runtime import broadcast_if_small, cut
 
 PILE = 3
 SHORTEST_LIMIT = 100
@@ -32,43 +32,46 @@ _INSIDE = rf"""[.!?…]{_CLOSE}\s+["“«„'‘(¿¡]*\p{{Lu}}"""
 _ITEM = r"^\s*(?:\d+[.)]|[-*•–])\s+"
 
 
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_WORD = r"[\p{L}\p{M}\p{N}'’]+"
+
+
 def _ends(text: Column) -> Column:
     return text.rlike(rf"[.!?]{_CLOSE}$") & ~text.rlike(rf"& co\.$|{_BROKEN_END}")
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\p{Z}]+$", "")
+def _plain(text: Column) -> Column:
+    """Text with one kind of line end, without blanks at its end."""
+    return F.rtrim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(_BLANKS))
 
 
-def _lines(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(_trimmed(x), r"^[\s\p{Z}]+", ""))
-    return F.filter(parts, lambda x: x != "")
+def _count(text: Column, signs: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, signs, ""))
 
 
 def encoded_lengths(text: Column) -> Column:
-    """Array of (encoding, n) of a text."""
-    wide = F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    extra = lambda pattern, n: n * (F.length(text) - F.length(F.regexp_replace(text, pattern, "")))
+    """Array of (encoding, n) of a text; every encoding is counted by literal signs, in passes without patterns."""
     lengths = {
         "chars": F.length(text),
         "utf8": F.octet_length(text),
-        "utf16": wide,
-        "entities": F.length(text) + extra("&", 4) + extra("[<>]", 3) + extra('"', 5) + extra("'", 5),
-        "json": F.length(text) + extra(r'["\\\n\r\t]', 1),
-        "crlf": F.length(F.regexp_replace(text, r"\r\n|\n", "\r\n")),
+        "utf16": F.octet_length(F.encode(text, "UTF-16BE")) / 2,
+        "entities": F.length(text) + 4 * _count(text, "&") + 3 * _count(text, "<>") + 5 * _count(text, "\"'"),
+        "json": F.length(text) + _count(text, '"\\\n\r\t'),
+        "crlf": F.length(text) + _count(F.replace(text, F.lit("\r\n"), F.lit("")), "\n"),
     }
     return F.array(*[F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n")) for name, n in lengths.items()])
 
 
 def limits(texts: DataFrame) -> DataFrame:
-    """source, encoding, low, high: the lengths at which a source's unfinished texts pile up; `texts` has source, text and unfinished.
+    """source, encoding, low, high: the lengths at which a source's unfinished texts pile up.
 
-    Copies of a text count once. A limit is a length that few of the source's texts exceed and where
-    unfinished ones pile up: exactly there (UTF-8 may lack a broken character, other encodings a blank), or, where
-    cuts fall between words, within a word's width below. The encoding with the highest pile
-    explains the source. Lengths are counted before they are compared, so a source of any size is a short table.
+    `texts` has source, digest (of the text), sizes (its encoded lengths) and unfinished. Copies of a text count
+    once. A limit is a length that few of the source's texts exceed and where unfinished ones pile up: exactly there
+    (UTF-8 may lack a broken character, other encodings a blank), or, where cuts fall between words, within a
+    word's width below. The encoding with the highest pile explains the source. Lengths are counted
+    before they are compared, so a source of any size is a short table.
     """
-    once = texts.groupBy("source", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first(encoded_lengths(F.col("text"))).alias("sizes"), F.max(F.col("unfinished").cast("int")).alias("u"))
+    once = texts.groupBy("source", "digest").agg(F.first("sizes").alias("sizes"), F.max(F.col("unfinished").cast("int")).alias("u"))
     counts = once.select("source", "u", F.inline("sizes")).groupBy("source", "encoding", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("u").alias("u"))
     own = Window.partitionBy("source", "encoding").orderBy("n")
     upto = counts.withColumns({
@@ -88,46 +91,45 @@ def limits(texts: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text, last word and verdict (cut, whole or open) by the text's ending alone."""
-    whole = docs.select("doc_id", "source", "text", _trimmed(F.col("text")).alias("t")).where("t <> ''")
-    lines = whole.withColumn("lines", _lines(F.col("t"))).withColumn("k", F.size("lines"))
-    last = F.regexp_replace(F.element_at("lines", -1), r"& co\. ", "& co ")
-    previous = F.when(F.col("k") > 1, F.get("lines", F.col("k") - 2)).otherwise("")
+    """doc_id, source, digest, sizes, last word and verdict (cut, whole or open) by the text's ending alone; texts themselves are let go."""
+    whole = docs.select("doc_id", "source", F.md5("text").alias("digest"), encoded_lengths(F.col("text")).alias("sizes"), _plain(F.col("text")).alias("t")).where("t <> ''")
+    stripped = F.filter(F.transform(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
+    lines = whole.select("doc_id", "source", "digest", "sizes", F.slice(F.reverse(stripped), 1, 2).alias("l"))
+    lines = lines.select("doc_id", "source", "digest", "sizes", F.get("l", F.lit(0)).alias("raw"), F.coalesce(F.get("l", F.lit(1)), F.lit("")).alias("previous"))
+    last = F.regexp_replace("raw", r"& co\. ", "& co ")
     item = last.rlike(_ITEM)
     bare = F.regexp_replace(last, _ITEM, "")
     verdict = (
-        F.when(F.col("t").rlike(_MARK), "cut")
-        .when(last.rlike(_TRAILER) | _ends(F.col("t")), "whole")
-        .when(bare.rlike(_INSIDE) | (~item & _ends(previous)) | bare.rlike(_BROKEN_END) | bare.rlike(r"& co\.$|&\w*$|<\w*>?$|\bw/$|[,(]$"), "cut")
+        F.when(F.col("raw").rlike(_MARK), "cut")
+        .when(last.rlike(_TRAILER) | _ends(F.col("raw")), "whole")
+        .when(bare.rlike(_INSIDE) | (~item & _ends(F.col("previous"))) | bare.rlike(_BROKEN_END) | bare.rlike(r"& co\.$|&\w*$|<\w*>?$|\bw/$|[,(]$"), "cut")
         .otherwise("open")
     )
-    word = F.lower(F.regexp_extract("t", r"([\p{L}\p{M}\p{N}'’]+)[^\p{L}\p{N}]*$", 1))
-    return lines.select("doc_id", "source", "text", word.alias("word"), verdict.alias("verdict"))
+    word = F.lower(F.regexp_extract("raw", rf"({_WORD})[^\p{{L}}\p{{N}}]*$", 1))
+    return lines.select("doc_id", "source", "digest", "sizes", word.alias("word"), verdict.alias("verdict"))
 
 
 def line_words(docs: DataFrame) -> DataFrame:
-    """word, n (occurrences) and ends (as the last word of a sentence or line that others follow)."""
-    parts = _lines(_trimmed(F.regexp_replace(_trimmed(F.col("text")), _MARK, "")))
-    lines = docs.select(F.posexplode(parts), F.size(parts).alias("k"))
-    sentences = lines.select(F.posexplode(F.split("col", rf"(?<=[.!?])(?={_CLOSE}\s+)")).alias("at", "s"), (F.col("pos") < F.col("k") - 1).alias("followed"))
-    words = sentences.select(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{M}\p{N}'’]+"), F.lit(0)).alias("w"), (F.col("followed") | F.col("s").rlike(rf"[.!?]{_CLOSE}$")).alias("closed"))
-    each = words.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("n_words"), "closed")
-    ends = (F.col("closed") & (F.col("at") == F.col("n_words") - 1)).cast("long")
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(ends).alias("ends"))
+    """word, n (occurrences) and ends (as the last word of a closed sentence or of a line that others follow), over whole texts."""
+    text = F.lower(_plain(F.regexp_replace(_plain(F.col("text")), _MARK, "")))
+    every = F.transform(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lit(0).alias("e")))
+    closing = F.regexp_extract_all("t", F.lit(rf"({_WORD})[^\p{{L}}\p{{N}}\n]*?(?:[.!?]{_CLOSE}(?=\s|$)|\n)"), F.lit(1))
+    each = docs.select(text.alias("t")).select(F.explode(F.concat(every, F.transform(closing, lambda w: F.struct(w.alias("word"), F.lit(1).alias("e"))))).alias("x"))
+    return each.groupBy("x.word").agg(F.sum(1 - F.col("x.e")).alias("n"), F.sum("x.e").alias("ends"))
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """doc_id of every text that was cut; `docs` has doc_id, source and text."""
-    judged = judge(docs)
+    """doc_id of every text that was cut; `docs` has doc_id, source and text. Texts are read twice: for their endings and for the words of lines."""
+    judged = cut(judge(docs))
     unsure = judged.where("verdict = 'open'")
-    lim = broadcast_if_small(limits(judged.select("source", "text", (F.col("verdict") != "whole").alias("unfinished"))))
+    lim = broadcast_if_small(limits(judged.withColumn("unfinished", F.col("verdict") != "whole")))
     lim = lim.select(F.col("source").alias("s"), F.col("encoding").alias("e"), "low", "high")
-    sizes = unsure.select("doc_id", "source", F.inline(encoded_lengths(F.col("text"))))
+    sizes = unsure.select("doc_id", "source", F.inline("sizes"))
     at_limit = sizes.join(lim, F.col("source").eqNullSafe(F.col("s")) & (F.col("encoding") == F.col("e")) & F.col("n").between(F.col("low"), F.col("high")), "left_semi").select("doc_id")
-    words = line_words(docs)
+    words = cut(line_words(docs))
     asked = unsure.select("word").where("word <> ''").distinct()
     never = words.join(asked, "word").where("ends * 50 < n AND n >= 5").select("word")
-    rare = words.join(asked, "word").where("ends = 0 AND n < 5").select("word", F.length("word").alias("len"))
+    rare = words.join(asked, "word").where("ends = 0 AND n < 5").select("word")
     starts = "transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))"
     heads = words.where("n >= 2 AND length(word) > 1").select(F.explode(F.expr(starts)).alias("word")).distinct()
     fragments = rare.join(heads, "word", "left_semi").select("word")
@@ -138,5 +140,5 @@ def truncated(docs: DataFrame) -> DataFrame:
 def share_by_source(docs: DataFrame) -> DataFrame:
     """source, n_documents, n_cut and share of every source."""
     marked = docs.select("doc_id", "source").join(truncated(docs).withColumn("cut", F.lit(1)), "doc_id", "left")
-    n, cut = F.count(F.lit(1)), F.count("cut")
-    return marked.groupBy("source").agg(n.alias("n_documents"), cut.alias("n_cut"), (cut / n).alias("share"))
+    n, cut_ones = F.count(F.lit(1)), F.count("cut")
+    return marked.groupBy("source").agg(n.alias("n_documents"), cut_ones.alias("n_cut"), (cut_ones / n).alias("share"))
