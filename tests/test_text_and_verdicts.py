@@ -68,3 +68,12 @@ def test_closed_scores_agree_with_enumeration(spark):
 def test_too_many_atoms_raise(spark):
     with pytest.raises(ValueError, match="atoms"):
         W.enumerate_worlds(spark, [W.Atom(f"x{k}") for k in range(21)], {})
+
+
+def test_two_people_matrix(spark):
+    from kernelweave.plans.reasoning import entailment_verdict
+
+    want = ["1..10..0", ".1.1.0.0", "111100.0", "...1...0", "0.0.1...", ".00..1..", "......1.", "000011.1"]
+    sign = {"Implying": "1", "Conflicting": "0", "Indifferent": "."}
+    got = {(r.i, r.j): sign[r.verdict] for r in entailment_verdict(spark, "").collect()}
+    assert ["".join(got[i, j] for j in range(8)) for i in range(8)] == want
