@@ -2,7 +2,9 @@
 
 A rule asks that, for each of its names, one of the listed values is among the node's values; excluded names
 must have none. Rules are few, so they are compiled into one `CASE` over feature columns: no join and no
-shuffle. Expansion is semi-naive: a round rewrites only the atoms that the round before found.
+shuffle. Expansion runs over pairs of relation and class of equal objects instead of atoms: a round rewrites
+only the pairs that the round before found, and atoms and members are joined to them at the end, so what is
+stored does not grow with the product of a class's atoms and its members.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.runtime import cut
+from kernelweave.operators import graphs as G
+from kernelweave.runtime import broadcast_if_small, cut
+
+#: A join's key is cut into a slice for so many of its rows.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -53,29 +59,83 @@ def all_matches(rules: Sequence[Rule], features: Mapping[str, Column]) -> Column
     return F.array_compact(F.array(*[F.when(condition(r, features), F.lit(r.order)) for r in sorted(rules, key=lambda r: r.order)]))
 
 
-def expand_atoms(atoms: DataFrame, same: DataFrame, unlike: DataFrame, renamed: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """origin, p, s, o, negated: every atom with all that it can be rewritten to.
+@dataclass(frozen=True)
+class Expansion:
+    """What every atom can be rewritten to, by classes of equal objects; nothing here is as long as the atoms times what they reach.
 
-    `atoms` has origin, p, s, o. `same` (a, b) rewrites an object to its equals, `unlike` (a, b) to what it is
-    not, with negation, and `renamed` (p, q, flips) a relation to another, with negation where flips. Only
-    atoms that hold are rewritten by `unlike`. More rounds than `most_rounds` raise.
+    rows: origin, p0, s, c0 of every atom, c0 the class of its object. members: c, o of classes of several objects.
+    reach: p0, c0, p, c, negated of every pair of relation and class that can change or has equals, itself
+    included. names: p, q, flips. busy (p0, c0, k) and large (c, k): keys of many atoms, classes of many members,
+    and into how many slices their joins are cut.
     """
-    equal = cut(same.select("a", "b").where("a <> b").distinct())
-    other = cut(unlike.select("a", "b").where("a <> b").distinct())
+
+    rows: DataFrame
+    members: DataFrame
+    reach: DataFrame
+    names: DataFrame
+    busy: DataFrame
+    large: DataFrame
+
+
+def expansion(atoms: DataFrame, same: DataFrame, unlike: DataFrame, renamed: DataFrame, most_rounds: int = 1000) -> Expansion:
+    """Classes of equal objects, and what relations and classes of `atoms` (origin, p, s, o) lead to.
+
+    `same` (a, b), read in both directions, rewrites an object to its equals, `unlike` (a, b) to what it is not,
+    with negation, and `renamed` (p, q, flips) a relation to another, with negation where flips. Only atoms that
+    hold are rewritten by `unlike`. More rounds of renaming and `unlike` than `most_rounds` raise.
+    """
+    classes = cut(G.connected_components(same.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("o"), F.col("component").alias("c")))
+    members = classes.select("c", "o")
+
+    def classed(df: DataFrame, name: str, to: str) -> DataFrame:
+        return df.join(classes.select(F.col("o").alias(name), "c"), name, "left").withColumn(to, F.coalesce("c", name)).drop("c")
+
+    other = cut(classed(classed(unlike.select("a", "b").where("a <> b").distinct(), "a", "x"), "b", "y").select("x", "y").distinct())
     names = cut(renamed.select("p", "q", "flips").where("p <> q").distinct())
-    key = ["origin", "p", "s", "o", "negated"]
-    front = cut(atoms.select("origin", "p", "s", "o", F.lit(False).alias("negated")).distinct())
-    known = front
+    rows = classed(atoms.select("origin", F.col("p").alias("p0"), "s", "o").distinct(), "o", "c0").select("origin", "p0", "s", "c0")
+    starts = cut(rows.groupBy("p0", "c0").agg(F.count(F.lit(1)).alias("n")))
+    moved = members.select(F.col("c").alias("c0")).unionByName(other.select(F.col("x").alias("c0"))).distinct().withColumn("m", F.lit(True))
+    told = names.select(F.col("p").alias("p0")).distinct().withColumn("t", F.lit(True))
+    live = starts.join(moved, "c0", "left").join(F.broadcast(told), "p0", "left").where("m OR t")
+    key = ["p0", "c0", "p", "c", "negated"]
+    known = front = cut(live.select("p0", "c0", F.col("p0").alias("p"), F.col("c0").alias("c"), F.lit(False).alias("negated")))
     for _ in range(most_rounds):
         if not front.limit(1).count():
-            return known
-        by_same = front.join(equal, front["o"] == equal["a"]).select("origin", "p", "s", F.col("b").alias("o"), "negated")
-        by_other = front.where("NOT negated").join(other, F.col("o") == F.col("a")).select("origin", "p", "s", F.col("b").alias("o"), F.lit(True).alias("negated"))
-        by_name = front.join(F.broadcast(names), "p").select("origin", F.col("q").alias("p"), "s", "o", (F.col("negated") != F.col("flips")).alias("negated"))
-        found = by_same.unionByName(by_other).unionByName(by_name).distinct()
-        front = cut(found.join(known, key, "left_anti"))
+            break
+        by_other = front.where("NOT negated").join(other, F.col("c") == F.col("x")).select("p0", "c0", "p", F.col("y").alias("c"), F.lit(True).alias("negated"))
+        by_name = front.join(F.broadcast(names), "p").select("p0", "c0", F.col("q").alias("p"), "c", (F.col("negated") != F.col("flips")).alias("negated"))
+        front = cut(by_other.unionByName(by_name).distinct().join(known, key, "left_anti"))
         known = cut(known.unionByName(front))
-    raise RuntimeError(f"no fix-point after {most_rounds} rounds")
+    else:
+        raise RuntimeError(f"no fix-point after {most_rounds} rounds")
+    slices = F.ceil(F.col("n") / SLICE).alias("k")
+    busy = broadcast_if_small(starts.where(F.col("n") > SLICE).select("p0", "c0", slices))
+    large = broadcast_if_small(members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE).select("c", slices))
+    return Expansion(rows, members, known, names, busy, large)
+
+
+def _sliced(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: Column) -> DataFrame:
+    """Left join; of a key in `hot` (with k), left rows are dealt over k slices by `by` and right rows repeated for each, so no task has all its pairs."""
+    k = F.coalesce("k", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("slice", F.pmod(by, k)).drop("k")
+    repeated = right.join(hot, on, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).drop("k")
+    return dealt.join(repeated, [*on, "slice"], "left").drop("slice")
+
+
+def _with_members(classes: DataFrame, e: Expansion, by: Column) -> DataFrame:
+    """Rows of classes (c) as rows of their members (o)."""
+    return _sliced(classes, e.members, ["c"], e.large, by).withColumn("o", F.coalesce("o", "c")).drop("c")
+
+
+def _spread(rows: DataFrame, reached: DataFrame, e: Expansion, by: Column) -> DataFrame:
+    """`rows` (p0, c0) with p and o of all that they reach; what comes out is never shuffled, only one list a key."""
+    full = _with_members(reached, e, F.xxhash64("p0", "c0"))
+    return _sliced(rows, full, ["p0", "c0"], e.busy, by).withColumn("p", F.coalesce("p", "p0")).withColumn("o", F.coalesce("o", "c0"))
+
+
+def expand_atoms(e: Expansion) -> DataFrame:
+    """origin, p, s, o, negated: every atom with all that it can be rewritten to."""
+    return _spread(e.rows, e.reach, e, F.xxhash64("origin")).select("origin", "p", "s", "o", F.coalesce("negated", F.lit(False)).alias("negated"))
 
 
 def compare_expansions(atoms: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from kernelweave.operators import verdicts as V
 from kernelweave.operators import worlds as W
 from kernelweave.plans.graph_queries import _A, _CONN, _L, assertions_of, links_of, surfaces_of
 from kernelweave.plans.mentions import _N, nodes_of, sentences_of
-from kernelweave.runtime import table
+from kernelweave.runtime import cut, table
 
 #: Roles of a node in its sentence: order, role, what it needs, what it must not have.
 ROLES = (
@@ -52,29 +52,27 @@ def _atoms(spark: SparkSession, d: str) -> DataFrame:
     return ids.groupBy(F.regexp_replace("relation_id", "^/r/", "").alias("p"), F.col("start_id").alias("s"), F.col("end_id").alias("o")).agg(F.min("edge_id").alias("origin"))
 
 
-def _expansion(spark: SparkSession, d: str) -> DataFrame:
-    rows = assertions_of(spark, d)
+def _expansion(spark: SparkSession, d: str) -> U.Expansion:
+    rows = cut(_atoms(spark, d))
     ends = lambda p: rows.where(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    same = ends("SameAs")
-    same = same.unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
     renamed = table(spark, d, "relation_map").select(F.col("label").alias("p"), F.col("rel").alias("q"), F.col("rel_negated").alias("flips"))
-    return U.expand_atoms(_atoms(spark, d), same, ends("OppositeOf"), renamed)
+    return U.expansion(rows, ends("SameAs"), ends("OppositeOf"), renamed)
 
 
 def rule_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     """Every assertion with all that equal objects, opposites and renamed relations make of it."""
-    return _expansion(spark, d)
+    return U.expand_atoms(_expansion(spark, d))
 
 
 def expansion_compare(spark: SparkSession, d: str) -> DataFrame:
     """Verdict on pairs of assertions of which one is among the other's expansion, as it stands or negated."""
-    found = _expansion(spark, d)
+    found = U.expand_atoms(_expansion(spark, d))
     return U.compare_expansions(_atoms(spark, d), found, found)
 
 
 def expansion_members(spark: SparkSession, d: str) -> DataFrame:
     """How many assertions expand to each member and how many to its negation."""
-    return U.shared_members(_expansion(spark, d))
+    return U.shared_members(U.expand_atoms(_expansion(spark, d)))
 
 
 def relation_verdicts(spark: SparkSession, d: str) -> DataFrame:
