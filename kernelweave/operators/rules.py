@@ -138,18 +138,21 @@ def expand_atoms(e: Expansion) -> DataFrame:
     return _spread(e.rows, e.reach, e, F.xxhash64("origin")).select("origin", "p", "s", "o", F.coalesce("negated", F.lit(False)).alias("negated"))
 
 
-def compare_expansions(atoms: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_expansions(e: Expansion) -> DataFrame:
     """x, y, verdict of every pair of atoms where the original of x or its negation is among the expansion of y, or the negation of y's original is among x's.
 
     Tests in order: the negation of one original among the other's expansion excludes; x's original among y's
-    expansion is implied. Looked up by members, so pairs arise only where an original is met. `left` holds the
-    expansions of x, `right` those of y (origin, p, s, o, negated); `atoms` has origin, p, s, o.
+    expansion is implied. An expansion keeps its atom's subject, so pairs are atoms of one subject whose relations
+    lead to each other, looked up among what relations and classes reach.
     """
-    own = atoms.select("p", "s", "o", F.col("origin").alias("own"))
-    in_right = right.join(own, ["p", "s", "o"]).where("own <> origin").select(F.col("own").alias("x"), F.col("origin").alias("y"), F.when(F.col("negated"), 1).otherwise(2).alias("test"))
-    in_left = left.where("negated").join(own, ["p", "s", "o"]).where("own <> origin").select(F.col("origin").alias("x"), F.col("own").alias("y"), F.lit(1).alias("test"))
-    first = in_right.unionByName(in_left).groupBy("x", "y").agg(F.min("test").alias("test"))
-    return first.select("x", "y", F.when(F.col("test") == 1, "EXCLUSIVES").otherwise("GENERAL").alias("verdict"))
+    follows = G.transitive_closure(e.names.select(F.col("p").alias("src"), F.col("q").alias("dst"))).select(F.col("src").alias("p0"), F.col("dst").alias("p"))
+    left = e.rows.join(e.reach.select("p0", "c0").distinct(), ["p0", "c0"], "left_semi").select(F.col("origin").alias("y"), "p0", "c0", "s")
+    asked = left.withColumn("p", F.col("p0")).unionByName(left.join(F.broadcast(follows), "p0"))
+    own = e.rows.select(F.col("origin").alias("x"), F.col("p0").alias("p"), F.col("c0").alias("c"), "s")
+    found = asked.join(own, ["s", "p"]).where("x <> y").join(e.reach, ["p0", "c0", "p", "c"])
+    test = lambda x, y, n: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(n).alias("test"))
+    met = found.select(F.explode(F.when(F.col("negated"), F.array(test("x", "y", 1), test("y", "x", 1))).otherwise(F.array(test("x", "y", 2)))).alias("t")).select("t.*")
+    return met.groupBy("x", "y").agg(F.min("test").alias("test")).select("x", "y", F.when(F.col("test") == 1, "EXCLUSIVES").otherwise("GENERAL").alias("verdict"))
 
 
 def shared_members(expansions: DataFrame) -> DataFrame:

@@ -66,8 +66,7 @@ def rule_fixpoint(spark: SparkSession, d: str) -> DataFrame:
 
 def expansion_compare(spark: SparkSession, d: str) -> DataFrame:
     """Verdict on pairs of assertions of which one is among the other's expansion, as it stands or negated."""
-    found = U.expand_atoms(_expansion(spark, d))
-    return U.compare_expansions(_atoms(spark, d), found, found)
+    return U.compare_expansions(_expansion(spark, d))
 
 
 def expansion_members(spark: SparkSession, d: str) -> DataFrame:
