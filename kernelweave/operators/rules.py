@@ -155,7 +155,19 @@ def compare_expansions(e: Expansion) -> DataFrame:
     return met.groupBy("x", "y").agg(F.min("test").alias("test")).select("x", "y", F.when(F.col("test") == 1, "EXCLUSIVES").otherwise("GENERAL").alias("verdict"))
 
 
-def shared_members(expansions: DataFrame) -> DataFrame:
-    """p, s, o, n_hold, n_deny: how many atoms expand to a member and how many to its negation; no pairs of atoms are formed."""
-    hold, deny = F.count(F.when(~F.col("negated"), 1)), F.count(F.when(F.col("negated"), 1))
-    return expansions.groupBy("p", "s", "o").agg(hold.alias("n_hold"), deny.alias("n_deny"))
+def shared_members(e: Expansion) -> DataFrame:
+    """p, s, o, n_hold, n_deny: how many atoms expand to a member and how many to its negation; no pairs of atoms are formed.
+
+    Atoms of one subject share members only where renaming connects their relations: what no other atom of its
+    subject can meet is listed as it is, the rest is summed by class before classes become members.
+    """
+    kin = G.connected_components(e.names.select(F.col("p").alias("src"), F.col("q").alias("dst"))).select(F.col("node").alias("p0"), F.col("component").alias("kin"))
+    groups = e.rows.groupBy("s", "p0", "c0").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(kin), "p0", "left").withColumn("kin", F.coalesce("kin", "p0"))
+    crowds = groups.groupBy("s", "kin").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("s", "kin", F.lit(True).alias("crowd"))
+    groups = cut(groups.join(crowds, ["s", "kin"], "left").select("s", "p0", "c0", "n", "crowd"))
+    counts = e.reach.groupBy("p0", "c0", "p", "c").agg(F.max((~F.col("negated")).cast("int")).alias("hold"), F.max(F.col("negated").cast("int")).alias("deny"))
+    hold, deny = (F.col("n") * F.coalesce("hold", F.lit(1))).alias("n_hold"), (F.col("n") * F.coalesce("deny", F.lit(0))).alias("n_deny")
+    alone = _spread(groups.where("crowd IS NULL"), counts, e, F.xxhash64("s")).select("p", "s", "o", hold, deny)
+    classes = groups.where("crowd").join(counts, ["p0", "c0"], "left").select(F.coalesce("p", "p0").alias("p"), "s", F.coalesce("c", "c0").alias("c"), hold, deny)
+    summed = classes.groupBy("p", "s", "c").agg(F.sum("n_hold").alias("n_hold"), F.sum("n_deny").alias("n_deny"))
+    return alone.unionByName(_with_members(summed, e, F.xxhash64("p", "s")).select("p", "s", "o", "n_hold", "n_deny"))

@@ -94,6 +94,12 @@ def test_comparison_over_a_large_class_lists_no_expansions(spark, large_class):
     assert Counter(rows) == _verdicts(made)
 
 
+def test_members_of_a_large_class_are_not_stored(spark, large_class):
+    d, made = large_class
+    rows = _few_bytes(spark, Q.expansion_members, d, sum(map(len, made.values())))
+    assert Counter(rows) == _counts(made)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_expansion_is_that_of_single_rewritings(spark, tmp_path, monkeypatch, seed):
     monkeypatch.setattr(U, "SLICE", 2)
